@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embdedup, langid, media, mixing, pii, sharding, simhash, toxicity
+from . import bpe, embdedup, langid, linededup, media, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_embedding_neardup": embdedup.embedding_neardup,
+    "op2_line_dedup": linededup.line_dedup,
     "op3_toxicity": toxicity.toxicity,
     "op4_simhash_neardup": simhash.simhash_neardup,
     "op5_media_chunks": media.media,
