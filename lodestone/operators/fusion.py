@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARED = ("document_id", "page_id", "title", "local_path", "space_key", "source_url", "chunk_text", "chunk_index")
-_ALL = Window.partitionBy(F.lit(0))  # one channel's candidates
+
+
+def _all():
+    """A window of all rows, which are one channel's candidates."""
+    return Window.partitionBy(F.lit(0))
 
 
 def normalize_scores(candidates: DataFrame, score: str = "score", out: str = "norm") -> DataFrame:
     """candidates with `out`, the score stretched to 0..1; all 1 if they are equal."""
-    low, high = F.min(score).over(_ALL), F.max(score).over(_ALL)
+    low, high = F.min(score).over(_all()), F.max(score).over(_all())
     return candidates.withColumn(out, F.when(high == low, 1.0).otherwise((F.col(score) - low) / F.when(high != low, high - low)))
 
 
@@ -30,7 +34,7 @@ def fuse(lexical: DataFrame | None, vector: DataFrame | None, mode: str, fusion:
     """
 
     def side(df: DataFrame, s: str, order: list[Column]) -> DataFrame:
-        df = normalize_scores(df).withColumn("rank", F.row_number().over(_ALL.orderBy(*order)))
+        df = normalize_scores(df).withColumn("rank", F.row_number().over(_all().orderBy(*order)))
         return df.select("chunk_id", F.col("norm").alias(s), F.col("rank").alias(f"rank_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in SHARED))
 
     if lexical is None and vector is None:
@@ -57,7 +61,7 @@ def fuse(lexical: DataFrame | None, vector: DataFrame | None, mode: str, fusion:
 def rank(fused: DataFrame, top_k: int) -> DataFrame:
     """The top_k rows by fused score, then chunk id, with rank (from 1) and total (how many they are)."""
     top = fused.orderBy(F.desc("fused"), "chunk_id").limit(top_k)
-    return top.withColumn("rank", F.row_number().over(_ALL.orderBy(F.desc("fused"), "chunk_id"))).withColumn("total", F.count(F.lit(1)).over(_ALL).cast("int"))
+    return top.withColumn("rank", F.row_number().over(_all().orderBy(F.desc("fused"), "chunk_id"))).withColumn("total", F.count(F.lit(1)).over(_all()).cast("int"))
 
 
 def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:

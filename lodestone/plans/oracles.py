@@ -165,8 +165,8 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s) - 1 AS secti
     "cosine_topk": _cosine("TRUE"),
     "cosine_topk_filtered": _cosine("label = 3"),
     "hash_embedding": f"""WITH h AS (SELECT doc_id, {_VECTOR.format("sha256(text)")} AS v FROM documents),
-n AS (SELECT doc_id, v, sqrt(8 * list_sum(list_transform(v, lambda x: (x * x)::DOUBLE))) AS norm FROM h)
-SELECT doc_id, round(v[1]::DOUBLE / norm, 5) AS v0, round(v[32]::DOUBLE / norm, 5) AS v31, round(v[5]::DOUBLE / norm, 5) AS v100, round(v[32]::DOUBLE / norm, 5) AS v255, 256::BIGINT AS dimension FROM n""",
+n AS (SELECT doc_id, v, (1 / sqrt(8 * list_sum(list_transform(v, lambda x: (x * x)::DOUBLE))))::FLOAT AS k FROM h)
+SELECT doc_id, round((v[1] * k)::DOUBLE, 5) AS v0, round((v[32] * k)::DOUBLE, 5) AS v31, round((v[5] * k)::DOUBLE, 5) AS v100, round((v[32] * k)::DOUBLE, 5) AS v255, 256::BIGINT AS dimension FROM n""",
     "minmax_lexical": f"WITH {_LEXICAL}\nSELECT id AS chunk_id, round({_norm('best')}, 6)::DOUBLE AS norm FROM best",
     "vector_channel": f"WITH {_CHUNKS},\n{_SIMILAR}\nSELECT id AS chunk_id, round(score, 5) AS score FROM near",
     "fuse_weighted": _WEIGHTED + _SHOWN,
