@@ -25,4 +25,4 @@ METADATA = StructType([StructField("pages", MapType(StringType(), StructType(_st
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """df with the schema's columns, in its order; a column that older data lack is filled with the empty string."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit("").cast(f.dataType).alias(f.name) for f in schema))
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit("")).cast(f.dataType.simpleString()).alias(f.name) for f in schema))
