@@ -84,14 +84,17 @@ def near_edges(df: DataFrame, d: int, threshold: float = THRESHOLD, tile_rows: i
     turn = axes(df, d).astype(np.float32)
     box = min(BOX, d)
 
-    def rotate(batches):
+    def rotated(x, columns=None):
+        """Unit rows on the principal axes, which is cheaper to do again than to send."""
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+        return ((x / norm[:, None]).astype(np.float32) @ turn[:, :columns]).astype(np.float32)
+
+    def lead(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), d).astype(np.float64)
-            y = ((x / np.linalg.norm(x, axis=1)[:, None]) @ turn).astype(np.float32)
-            lead = [pa.array(y[:, k]) for k in range(min(2, d))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(y), pa.list_(pa.float32())), lead[0], lead[-1]], ["id", "vector", "turned", "x", "y"])
+            y = rotated(_matrix(batch.column(1), d), min(2, d))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(y[:, 0]), pa.array(y[:, -1])], ["id", "vector", "x", "y"])
 
-    turned = written(df.select("id", "vector").mapInArrow(rotate, "id long, vector array<float>, turned array<float>, x float, y float"), "turned")
+    turned = written(df.select("id", "vector").mapInArrow(lead, "id long, vector array<float>, x float, y float"), "turned")
     n = turned.count()
     strips = max(1, math.isqrt(math.ceil(n / tile_rows)))
     cells = max(1, math.ceil(n / tile_rows / strips))
@@ -112,15 +115,16 @@ def near_edges(df: DataFrame, d: int, threshold: float = THRESHOLD, tile_rows: i
 
     def blob(key, table):
         table = table.combine_chunks().sort_by("id")
-        t = _matrix(table.column("turned").combine_chunks(), d)
-        out = {"tile": [key[0].as_py()], "ids": [table.column("id").to_numpy().astype(np.int64).tobytes()], "vectors": [_matrix(table.column("vector").combine_chunks(), d).astype(np.float32).tobytes()], "turned": [t.tobytes()], "low": [t[:, :box].min(0).astype(float).tolist()], "high": [t[:, :box].max(0).astype(float).tolist()]}
-        return pa.table(out, schema=pa.schema([("tile", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("turned", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+        v = _matrix(table.column("vector").combine_chunks(), d).astype(np.float32)
+        t = rotated(v, box)
+        out = {"tile": [key[0].as_py()], "ids": [table.column("id").to_numpy().astype(np.int64).tobytes()], "vectors": [v.tobytes()], "low": [t.min(0).astype(float).tolist()], "high": [t.max(0).astype(float).tolist()]}
+        return pa.table(out, schema=pa.schema([("tile", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
 
-    tiles = written(placed.select(F.col("tile").cast("long").alias("tile"), "id", "vector", "turned").groupBy("tile").applyInArrow(blob, "tile long, ids binary, vectors binary, turned binary, low array<double>, high array<double>"), "tiles")
+    tiles = written(placed.select(F.col("tile").cast("long").alias("tile"), "id", "vector").groupBy("tile").applyInArrow(blob, "tile long, ids binary, vectors binary, low array<double>, high array<double>"), "tiles")
     box_a, box_b = (tiles.select(F.col("tile").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")) for c in "ab")
     far = F.expr("aggregate(zip_with(zip_with(low_a, high_b, (l, h) -> greatest(l - h, 0D)), zip_with(low_b, high_a, (l, h) -> greatest(l - h, 0D)), (p, q) -> greatest(p, q)), 0D, (t, g) -> t + g * g)")
     pairs = box_a.join(box_b, F.col("a") <= F.col("b")).filter(far <= 2 - 2 * threshold + SLACK).select("a", "b")
-    side_a, side_b = (tiles.select(F.col("tile").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("ids", "vectors", "turned"))) for c in "ab")
+    side_a, side_b = (tiles.select(F.col("tile").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("ids", "vectors"))) for c in "ab")
     work = pairs.join(side_b, "b").repartition(max(8, spark.sparkContext.defaultParallelism * 2), "a", "b").join(side_a, "a")
 
     def compare(batches):
@@ -130,7 +134,7 @@ def near_edges(df: DataFrame, d: int, threshold: float = THRESHOLD, tile_rows: i
                 m = {c: np.frombuffer(col[c][r].as_buffer(), np.int64 if c.startswith("ids") else np.float32) for c in col if c not in "ab"}
                 ids_a, ids_b = m["ids_a"], m["ids_b"]
                 va, vb = m["vectors_a"].reshape(-1, d), m["vectors_b"].reshape(-1, d)
-                i, j = alike(m["turned_a"].reshape(-1, d), m["turned_b"].reshape(-1, d), threshold, col["a"][r].as_py() == col["b"][r].as_py())
+                i, j = alike(rotated(va), rotated(vb), threshold, col["a"][r].as_py() == col["b"][r].as_py())
                 for at in range(0, len(i), 200_000):
                     p, q = va[i[at : at + 200_000]].astype(float), vb[j[at : at + 200_000]].astype(float)
                     cos = np.einsum("ij,ij->i", p, q) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q))
@@ -159,7 +163,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     same = rows.groupBy("vector").agg(F.min("id").alias("id"))
     lead = same.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(1)))
     copies = rows.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2")).join(lead.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
-    edges = near_edges(same.select("id", "vector"), d, threshold, tile_rows).union(copies)
+    edges = written(near_edges(same.select("id", "vector"), d, threshold, tile_rows).union(copies), "edges")
     groups = components(edges)
     out = df.select(*kept).join(groups, F.col(id_col).cast("long") == F.col("node"), "left")
     return out.select(*kept, F.coalesce("comp", F.col(id_col).cast("long")).alias("group_id"), F.coalesce(F.col(id_col).cast("long") == F.col("comp"), F.lit(True)).alias("is_kept"))

@@ -14,8 +14,8 @@ BITS = 24
 #: At most so many labelled rows are fitted, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
-THRESHOLD = 0.4
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.0
+THRESHOLD = 0.25
 #: (distance to the next word, ...) of each feature: words, n-grams of 2 and 3, skip-grams over one and two words.
 GRAMS = ((), (1,), (1, 2), (2,), (3,))
 
