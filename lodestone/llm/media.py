@@ -21,6 +21,8 @@ from .textvec import mix64
 
 WINDOW = 32
 MIN_BYTES, MASK_BITS, MAX_BYTES = 256, 10, 4096
+#: zstd's, for payloads that travel.
+PACK_LEVEL = 3
 #: Recipes of at most so many media are broadcast.
 BROADCAST_MEDIA = 50_000
 GEAR = (mix64(np.arange(256, dtype=np.uint64), 99) >> np.uint64(32)).astype(np.uint32)
@@ -75,25 +77,26 @@ def chunk(df: DataFrame, id_col: str, payload_col: str, min_bytes: int = MIN_BYT
     return df.mapInArrow(run, f"id {id_type}, n_bytes long, digest binary, chunks {CHUNK}")
 
 
-def recipes(chunked: DataFrame) -> DataFrame:
-    """(id, n_bytes, digest, recipe) with recipe = ordered [(pos, digest, start, size, owner, owner_start)]."""
+def places(chunked: DataFrame) -> DataFrame:
+    """(id, places) with places = [(pos, digest, size, owner, owner_start)] of the chunks whose first copy is elsewhere; media without any have no row."""
     entry = chunked.filter("id is not null").select("id", F.posexplode("chunks").alias("pos", "c")).select("id", "pos", "c.digest", "c.start", "c.size")
     owners = entry.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("own")).select("digest", F.col("own.id").alias("owner"), F.col("own.start").alias("owner_start"))
-    located = entry.join(owners, "digest").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "start", "size", "owner", "owner_start"))).alias("recipe"))
-    return chunked.select("id", "n_bytes", "digest").join(located, "id", "left")
+    moved = entry.join(owners, "digest").filter("owner <> id or owner_start <> start")
+    return moved.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "size", "owner", "owner_start"))).alias("places"))
 
 
-def rebuild(df: DataFrame, recipe: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(id, n_bytes, digest, rebuilt binary, verified) from the recipes and the chunks that each medium owns.
+def rebuild(df: DataFrame, chunked: DataFrame, moved: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """(id, n_bytes, digest, chunks, rebuilt binary, owned_bytes, verified) from the ordered chunk lists, their places and the owners' payloads.
 
-    Ids are unique and not null here. A chunk comes from its owner's payload, and is checked against its
-    digest; the whole is checked against the medium's.
+    Ids are unique and not null here. A chunk that `moved` (places' rows) has an owner for comes from that
+    owner's payload, any other from the medium's own; each is checked against its digest, and the whole
+    against the medium's. The payload meets list, places and pieces in one shuffle by id.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     owned = df.select(F.col(id_col).alias("id"), F.col(payload_col).cast("binary").alias("payload"))
 
     def pack(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=PACK_LEVEL)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(p) if p is not None else None for p in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
 
@@ -111,27 +114,38 @@ def rebuild(df: DataFrame, recipe: DataFrame, id_col: str, payload_col: str) ->
     def join(batches):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [c.to_pylist() for c in batch.columns]
-            built, good = [], []
-            for me, digest, packed, recipe_, foreign in zip(*(rows[i] for i in (0, 2, 3, 4, 5))):
+            rows = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "digest", "packed", "chunks", "places", "foreign")]
+            built, own, good = [], [], []
+            for me, digest, packed, chunks, elsewhere, foreign in zip(*rows):
                 if digest is None:
-                    built.append(None), good.append(None)
+                    built.append(None), own.append(None), good.append(None)
                     continue
                 payload = open_.decompress(packed)
                 other = {f["digest"]: f["piece"] for f in foreign or []}
-                parts = [payload[c["owner_start"] : c["owner_start"] + c["size"]] if c["owner"] == me else other.get(c["digest"], b"") for c in recipe_ or []]
+                place = {c["pos"]: c for c in elsewhere or []}
+                parts, size = [], 0
+                for k, c in enumerate(chunks):
+                    at = place.get(k)
+                    if at is None:
+                        parts.append(payload[c["start"] : c["start"] + c["size"]])
+                        size += c["size"]
+                    elif at["owner"] == me:
+                        parts.append(payload[at["owner_start"] : at["owner_start"] + at["size"]])
+                    else:
+                        parts.append(other.get(at["digest"], b""))
                 out = b"".join(parts)
-                built.append(out)
-                good.append(hashlib.sha256(out).digest() == digest and all(hashlib.sha256(p).digest() == c["digest"] for p, c in zip(parts, recipe_ or [])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(built, pa.binary()), pa.array(good, pa.bool_())], ["id", "n_bytes", "digest", "rebuilt", "verified"])
+                built.append(out), own.append(size)
+                good.append(hashlib.sha256(out).digest() == digest and all(hashlib.sha256(p).digest() == c["digest"] for p, c in zip(parts, chunks)))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "n_bytes", "digest", "chunks")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(built, pa.binary()), pa.array(own, pa.int64()), pa.array(good, pa.bool_())], ["id", "n_bytes", "digest", "chunks", "rebuilt", "owned_bytes", "verified"])
 
     packed = owned.mapInArrow(pack, f"id {id_type}, packed binary")
-    borrowed = recipe.select("id", F.explode("recipe").alias("c")).filter("c.owner <> id")
+    borrowed = moved.select("id", F.explode("places").alias("c")).filter("c.owner <> id")
     wanted = borrowed.groupBy(F.col("c.owner").alias("id")).agg(F.collect_set(F.struct("c.digest", "c.owner_start", "c.size")).alias("wanted"))
     pieces = packed.join(maybe_broadcast(wanted, BROADCAST_MEDIA), "id").select("packed", "wanted").mapInArrow(export, "digest binary, piece binary")
     foreign = borrowed.select("id", "c.digest").distinct().join(pieces, "digest").groupBy("id").agg(F.collect_list(F.struct("digest", "piece")).alias("foreign"))
-    full = packed.join(recipe, "id").join(foreign, "id", "left")
-    return full.select("id", "n_bytes", "digest", "packed", "recipe", "foreign").mapInArrow(join, f"id {id_type}, n_bytes long, digest binary, rebuilt binary, verified boolean")
+    full = packed.join(chunked, "id").join(moved, "id", "left").join(foreign, "id", "left")
+    return full.mapInArrow(join, f"id {id_type}, n_bytes long, digest binary, chunks {CHUNK}, rebuilt binary, owned_bytes long, verified boolean")
 
 
 def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
@@ -139,7 +153,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     whether its reconstruction from the chunk owners' copies is byte for byte the same.
 
     Null payloads have nulls throughout; empty payloads have no chunks and are verified. Media with a null
-    id have no place in a recipe and are left out. Of several rows with one id the one with the smallest
+    id have no place in a list and are left out. Of several rows with one id the one with the smallest
     SHA-256 counts. Extra columns aren't looked at.
     """
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(payload_col).cast("binary").alias("payload"))
@@ -150,15 +164,9 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
         first = extra.groupBy("id").agg(F.min_by("payload", F.sha2("payload", 256)).alias("payload"))
         rows = rows.join(twice.select("id"), "id", "left_anti").unionByName(first)
         chunked = written(chunk(rows, "id", "payload"), "chunks")
-    recipe = written(recipes(chunked), "recipes")
-    checked = rebuild(rows, recipe, "id", "payload").select("id", "verified")
-    lists = recipe.select("id", "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.expr("cast(size(recipe) as int)").alias("n"), F.expr("transform(recipe, c -> lower(hex(c.digest)))").alias("chunks"), F.expr("aggregate(recipe, 0L, (t, c) -> t + if(c.owner = id and c.owner_start = c.start, c.size, 0))").alias("owned_bytes"))
-    out = lists.join(checked, "id")
-    some = F.col("digest").isNotNull()
-    return out.select(
-        F.col("id").alias(id_col), "n_bytes", "digest", F.when(some, F.when(F.col("chunks").isNull(), 0).otherwise(F.size("chunks"))).alias("n_chunks"),
-        F.when(some, F.coalesce("chunks", F.array().cast("array<string>"))).alias("chunks"), F.when(some, F.coalesce("owned_bytes", F.lit(0))).alias("owned_bytes"), "verified",
-    )
+    out = rebuild(rows, chunked, written(places(chunked), "places"), "id", "payload")
+    names = F.expr("transform(chunks, c -> lower(hex(c.digest)))")
+    return out.select(F.col("id").alias(id_col), "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.when(F.col("digest").isNotNull(), F.size("chunks")).alias("n_chunks"), names.alias("chunks"), "owned_bytes", "verified")
 
 
 def media(spark, sf_dir: str) -> DataFrame:
