@@ -164,9 +164,9 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     lead = same.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(1)))
     copies = rows.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2")).join(lead.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
     edges = written(near_edges(same.select("id", "vector"), d, threshold, tile_rows).union(copies), "edges")
-    groups = components(edges)
-    out = df.select(*kept).join(groups, F.col(id_col).cast("long") == F.col("node"), "left")
-    return out.select(*kept, F.coalesce("comp", F.col(id_col).cast("long")).alias("group_id"), F.coalesce(F.col(id_col).cast("long") == F.col("comp"), F.lit(True)).alias("is_kept"))
+    groups = components(edges).select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+    out = df.select(*kept).join(groups, F.col(id_col).cast("long") == F.col("__node"), "left")
+    return out.select(*kept, F.coalesce("__comp", F.col(id_col).cast("long")).alias("group_id"), F.coalesce(F.col(id_col).cast("long") == F.col("__comp"), F.lit(True)).alias("is_kept"))
 
 
 def embedding_neardup(spark, sf_dir: str) -> DataFrame:
