@@ -41,14 +41,14 @@ def bind(grams: np.ndarray, letter: np.ndarray) -> np.ndarray:
 
 
 def trigrams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, trigram, count), sorted; runs of non-letters count as one, and trigrams without a letter don't count."""
-    joined = "\x00".join(t or "" for t in texts)
+    """(row, trigram, count), sorted; a text begins after a non-letter, runs of non-letters count as one, and trigrams without a letter don't count."""
+    joined = "".join("\x00" + (t or "") for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    row = np.cumsum(code == 0)  # a NUL inside a text is made a space below
-    if len(texts) and (row[-1] if len(row) else 0) != len(texts) - 1:
-        joined = "\x00".join((t or "").replace("\x00", " ") for t in texts)
+    row = np.cumsum(code == 0) - 1  # a NUL inside a text is made a space below
+    if len(row) and row[-1] != len(texts) - 1:
+        joined = "".join("\x00" + (t or "").replace("\x00", " ") for t in texts)
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        row = np.cumsum(code == 0)
+        row = np.cumsum(code == 0) - 1
     s = table[code].astype(np.int64)
     keep = np.r_[True, (s[1:] > 0) | (s[:-1] > 0) | (row[1:] != row[:-1])] if len(s) else np.zeros(0, bool)
     s, row = s[keep], row[keep]
