@@ -1,0 +1,94 @@
+"""Operator 10."""
+
+import random
+import re
+
+import pytest
+
+from lodestone.llm import pii as P
+
+KEY = b"test"
+
+
+@pytest.mark.parametrize("a,b", [(1, 1), (1, 7), (10, 10), (7, 13), (31, 32)])
+def test_feistel_is_a_permutation(a, b):
+    assert sorted(P.feistel(v, a, b, KEY, "t") for v in range(a * b)) == list(range(a * b))
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
+def test_cycle_walking_is_a_permutation_of_what_is_allowed(size):
+    ok = lambda v: v % 3 != 1
+    allowed = [v for v in range(size) if ok(v)]
+    assert sorted(P.permute(v, size, KEY, "t", ok) for v in allowed) == allowed
+
+
+def card(rng, n=16):
+    body = "".join(rng.choices("0123456789", k=n - 1))
+    return body + str(-P.luhn(body + "0") % 10)
+
+
+def change(text):
+    return P.Pseudonyms(KEY)(text)
+
+
+def test_formats_stay_valid():
+    rng = random.Random(1)
+    for _ in range(50):
+        c = card(rng)
+        new, n = change(f"pay {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} now")
+        assert n == 1 and re.fullmatch(r"pay \d{4} \d{4} \d{4} \d{4} now", new) and P.luhn(P.only_digits(new)) == 0
+    new, n = change("id 123-45-6789.")
+    assert n == 1 and re.fullmatch(r"id \d{3}-\d{2}-\d{4}\.", new) and new != "id 123-45-6789."
+    new, n = change("at 192.168.1.20,")
+    assert n == 1 and all(int(x) < 256 for x in re.findall(r"\d+", new))
+    new, n = change("born 2001-02-28 or 28/02/2001")
+    assert n == 2 and re.fullmatch(r"born (19|20)\d\d-\d\d-\d\d or \d\d/\d\d/(19|20)\d\d", new)
+    new, n = change("GB82 WEST 1234 5698 7654 32")
+    assert n == 1 and new.startswith("GB") and P._mod97(new.replace(" ", "")) == 1 and [len(x) for x in new.split()] == [4, 4, 4, 4, 4, 2]
+    new, n = change("call +44 20 7946 0958 or (555) 123-4567")
+    assert n == 2 and re.fullmatch(r"call \+44 \d\d \d{4} \d{4} or \(\d{3}\) \d{3}-\d{4}", new)
+    new, n = change("mail john.doe9@example.org")
+    assert n == 1 and re.fullmatch(r"mail [a-z]{4}\.[a-z]{3}\d@[a-z]{7}\.org", new) and "john" not in new
+
+
+@pytest.mark.parametrize("text", ["1234 5678 9012 3456", "000-12-3456", "900-12-3456", "300.1.1.1", "2001-02-30", "2001-13-01", "1.2.3", "12345", "GB82 WEST 1234 5698 7654 33", "word@", "v1.2.3.4.5", "aabbccddeeffaabbccddeeffaabbccdd"])
+def test_what_fails_validation_stays(text):
+    assert change(text) == (text, 0) or text.startswith("1234 5678")
+
+
+def test_equal_values_stay_equal_however_punctuated():
+    rng = random.Random(2)
+    c = card(rng)
+    a, b = change(c)[0], change(f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}")[0]
+    assert P.only_digits(a) == P.only_digits(b) != c
+    assert change("1999-12-31")[0] == change("x 1999-12-31 y")[0][2:-2]
+    assert P.Pseudonyms(b"other")(c)[0] != a
+
+
+def test_different_values_stay_different():
+    ssns = [f"{a:03d}-{b:02d}-1234" for a in range(1, 60) for b in range(1, 20)]
+    assert len({change(s)[0] for s in ssns}) == len(ssns)
+    dates = [f"20{y:02d}-{m:02d}-{d:02d}" for y in range(20) for m in range(1, 13) for d in (1, 13, 28)]
+    assert len({change(d)[0] for d in dates}) == len(dates)
+
+
+def test_odd_rows(spark):
+    long = "filler words and 7 numbers " * 100_000 + "mail a.b@c.org"
+    rows = [(1, None, "x"), (2, "", "x"), (3, "no values here", None), (4, long, "x"), (5, "id 123-45-6789", "x"), (5, "id 123-45-6789", "x"), (None, "id 123-45-6789", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_private string")
+    got = P.pseudonymise(df)
+    assert got.columns == ["doc_id", "text", "n_private"]
+    found = got.collect()
+    by = {r["doc_id"]: r for r in found}
+    assert len(found) == 7 and by[1]["text"] is None and by[1]["n_private"] == 0 and by[2]["text"] == "" and by[3]["text"] == "no values here"
+    assert by[4]["n_private"] == 1 and by[4]["text"][:-14] == long[:-14] and by[4]["text"] != long
+    assert len({r["text"] for r in found if r["text"] and r["text"].startswith("id ")}) == 1 and by[5]["text"] != "id 123-45-6789"
+    assert P.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_whole_table_equals_a_plain_loop(spark, sf_dir):
+    one = P.Pseudonyms(P.KEY)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in P.pii(spark, sf_dir).collect():
+        want = one(texts[r["doc_id"]]) if texts[r["doc_id"]] is not None else (None, 0)
+        assert (r["text"], r["n_private"]) == want
