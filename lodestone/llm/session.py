@@ -46,16 +46,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def mark() -> int:
+    """A place in the order of written tables, for forget()."""
+    return len(_written)
+
+
+def forget(since: int, keep: int = 1) -> None:
+    """Removes the tables written since mark(), but for the last `keep`: nothing may read them any more."""
+    end = len(_written) - keep
+    for spark, path in _written[since:end]:
+        _remove(spark, path)
+    del _written[since:end]
+
+
 def clean() -> None:
     """Removes every table that written() made."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
-        except Exception:  # the session may be gone already
-            continue
+        _remove(*_written.pop())
 
 
 atexit.register(clean)
