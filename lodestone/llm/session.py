@@ -43,7 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -59,12 +61,15 @@ def mark() -> int:
     return len(_written)
 
 
-def forget(since: int, keep: int = 1) -> None:
-    """Removes the tables written since mark(), but for the last `keep`: nothing may read them any more."""
-    end = len(_written) - keep
+def forget(since: int, keep: int | list[DataFrame] = 1) -> None:
+    """Removes the tables written since mark(), but for the last `keep`, or those that are named: nothing may read the others any more."""
+    names = [df._written_at for df in keep] if isinstance(keep, list) else []
+    end = len(_written) - (0 if isinstance(keep, list) else keep)
+    kept = [(spark, path) for spark, path in _written[since:end] if path in names]
     for spark, path in _written[since:end]:
-        _remove(spark, path)
-    del _written[since:end]
+        if (spark, path) not in kept:
+            _remove(spark, path)
+    _written[since:end] = kept
 
 
 def clean() -> None:
@@ -88,3 +93,11 @@ def maybe_broadcast(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
