@@ -14,6 +14,7 @@ from lodestone.operators import fusion, lexical, maintain
 from lodestone.operators.candidates import Frames, search_lexical, search_vector
 from lodestone.operators.filters import Filters
 from lodestone.plans.grammar import QuerySyntaxError
+from lodestone.schemas import TABLES
 from lodestone.sources import corpus
 from lodestone.sources.store import IndexStore, Stats, StoreError, now
 
@@ -192,19 +193,22 @@ def index(spark: SparkSession, folder: str, path: str, rebuild: bool = False, pr
         raise IndexError_(f"index preflight failed: {error}") from error
     store = IndexStore(spark, path)
     if rebuild:
-        store.remove()
+        store.claim()
     store.create()
     run = store.begin_run("rebuild" if rebuild else "incremental")
     chosen = embedding.Chosen(provider, "custom") if provider else embedding.from_environment()
     try:
         documents = corpus.load_documents(corpus.read_pages(spark, folder), chunk_size, overlap)
-        frames = {t: store.table(t) for t in ("documents", "chunks", "embeddings", "postings", "lengths")}
+        # a rebuild starts from empty tables; the old index stays until the new one is whole
+        frames = {t: spark.createDataFrame([], TABLES[t]) if rebuild else store.table(t) for t in ("documents", "chunks", "embeddings", "postings", "lengths")}
         documents = documents.persist()
         try:
             tables, status, new_chunks = update_tables(frames, documents, chosen.provider, now())
             counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
             chunk_writes = new_chunks.count()
             store.commit(tables)
+            if rebuild:
+                store.forget_runs(run)
         finally:
             documents.unpersist()
     except StoreError:

@@ -7,13 +7,13 @@ CHUNK_SIZE = 1200
 CHUNK_OVERLAP = 200
 #: White space that trimming removes: the Unicode property, without the information separators.
 SPACE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_EDGES = rf"\A[{SPACE}]+|[{SPACE}]+\z"
+_PLAIN_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _HEADING = "\\n(?=[" + SPACE.replace(r"\n", "") + "]*#)"
 
 
 def trim(text: Column) -> Column:
     """text without Unicode white space at both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_PLAIN_SPACE))  # linear, which a pattern for the end isn't
 
 
 def strip_front_matter(text: Column) -> Column:
@@ -70,7 +70,6 @@ def summarize(text: str, most: int) -> str:
     return raw.decode() if most <= 3 or len(raw) <= most else raw[: most - 3].decode(errors="replace") + "..."
 
 
-_PLAIN_SPACE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(text: str) -> str:

@@ -41,9 +41,11 @@ class EmbeddingError(ValueError):
 
 
 def upsert_embeddings(old: DataFrame, records: DataFrame) -> DataFrame:
-    """old with records inserted or replaced by chunk id. A blank chunk id is skipped; a dimension that isn't the vector's, or not above 0, is an error."""
+    """old with records inserted or replaced by chunk id. Of several records of one chunk the last counts. A blank chunk id is skipped; a dimension that isn't the vector's, or not above 0, is an error."""
     records = records.filter(F.trim("chunk_id") != "")
     bad = records.filter((F.col("dimension") <= 0) | (F.col("dimension") != F.size("vector"))).select("chunk_id", "dimension", F.size("vector").alias("n")).limit(1).collect()
     if bad:
         raise EmbeddingError(f"embedding for chunk {bad[0][0]}: dimension {bad[0][1]}, vector of {bad[0][2]}")
+    numbered = records.select(F.struct(*records.columns).alias("record"), F.monotonically_increasing_id().alias("n"))
+    records = numbered.groupBy("record.chunk_id").agg(F.max_by("record", "n").alias("record")).select("record.*")
     return old.join(records.select("chunk_id"), "chunk_id", "left_anti").select(*old.columns).unionByName(records.select(*old.columns))

@@ -83,7 +83,10 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = _pages(os.path.join(root, METADATA))
     schema = StructType([StructField("page_id", StringType(), False), *(StructField(f, StringType(), False) for f in _FIELDS), StructField("path", StringType(), False)])
     rows = []
-    for page, r in pages.items():
+    named = {T.strip(page): r for page, r in pages.items()}
+    if "" in named:
+        raise ValueError(f"a page of {METADATA} has a blank id")
+    for page, r in named.items():
         local = T.strip(r["local_path"])
         rows.append((page, local, T.strip(r["title"]), T.strip(r["space_key"]), T.strip(r["source_url"]), T.strip(r["last_modified_at"]), os.path.normpath(os.path.join(root, local))))
     meta = spark.createDataFrame(rows, schema)

@@ -118,8 +118,16 @@ class IndexStore:
         if not self.exists():
             self.files.write(f"{self.path}/{_MANIFEST}", json.dumps({"schemaVersion": SCHEMA_VERSION, "snapshot": 0, "nRows": 0, "avgTokens": None}))
 
-    def remove(self) -> None:
-        self.files.delete(self.path)
+    def claim(self) -> None:
+        """Refuses a folder that holds something else than an index."""
+        if not self.exists() and set(self.files.list(self.path)) - {"snapshots", "runs"}:
+            raise StoreError(f"{self.path} exists and is no index")
+
+    def forget_runs(self, but: str) -> None:
+        """Removes all runs but one."""
+        for name in self.files.list(f"{self.path}/runs"):
+            if not name.endswith(f"-{but}.json"):
+                self.files.delete(f"{self.path}/runs/{name}")
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame:
         """A table of the current snapshot; columns that an older one lacks are filled."""

@@ -162,3 +162,35 @@ def test_deleting_with_no_pages_deletes_all(spark):
 
 def test_public_functions():
     assert api.OUTPUT_SCHEMA_VERSION == "1" and api.query is engine.query and api.index is engine.index
+
+
+def test_a_rebuild_touches_nothing_else(spark, tmp_path, folder):
+    before = {f: open(os.path.join(folder, f), "rb").read() for f in os.listdir(folder)}
+    with pytest.raises(StoreError, match="is no index"):
+        engine.index(spark, folder, folder, rebuild=True)
+    assert {f: open(os.path.join(folder, f), "rb").read() for f in os.listdir(folder)} == before
+    path = str(tmp_path / "index")
+    engine.index(spark, folder, path)
+    with open(os.path.join(path, "note"), "w") as f:
+        f.write("mine")
+    engine.index(spark, folder, path, rebuild=True)
+    assert open(os.path.join(path, "note")).read() == "mine"
+
+
+def test_a_rebuild_that_fails_leaves_the_old_index(spark, tmp_path, folder):
+    path = str(tmp_path / "index")
+    engine.index(spark, folder, path)
+    with pytest.raises(Exception):
+        engine.index(spark, folder, path, rebuild=True, provider=Broken())
+    assert engine.query(spark, path, engine.Request("banana", "lexical")).results and engine.stats(spark, path).chunks == 3
+
+
+def test_blank_page_ids_are_refused(spark, tmp_path):
+    with pytest.raises(engine.IndexError_, match="blank id"):
+        engine.index(spark, write(tmp_path / "in", {" ": ("text", {})}), str(tmp_path / "index"))
+
+
+def test_the_last_record_of_a_chunk_counts(spark):
+    kind = "chunk_id string, dimension int, vector array<double>"
+    out = maintain.upsert_embeddings(spark.createDataFrame([("a", 1, [0.0])], kind), spark.createDataFrame([("a", 1, [1.0]), ("a", 1, [2.0])], kind).coalesce(1))
+    assert [tuple(r) for r in out.collect()] == [("a", 1, [2.0])]

@@ -97,3 +97,11 @@ def test_summaries_are_cut_by_bytes():
     assert T.summarize("x" * 300, 240) == "x" * 237 + "..."
     assert T.summarize("é" * 200, 240).endswith("�...")
     assert not re.search("\n", T.summarize("a\n" * 300, 240))
+
+
+def test_trim_is_linear(spark):
+    import time
+
+    rows = ["a" + " " * 1_000_000 + "b", " 　" * 500_000 + "x" + "\t\n" * 500_000]
+    began = time.perf_counter()
+    assert evaluate(spark, rows, T.trim) == [rows[0], "x"] and time.perf_counter() - began < 20
