@@ -19,6 +19,9 @@ PIECE_CHARS = 20_000
 #: Where no pre-token can span: a word, number or punctuation mark is never followed by white space
 #: inside a pre-token, and letters and digits never share one.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+#: A run of white space is one pre-token, but for its last character before a word. Longer ones are cut out by this rule, since the pattern's look-ahead would try every end of them.
+LONG_SPACE = regex.compile(r"\p{White_Space}{10000,}+")
+SPACE_RULE = r"\s+(?!\S)|\s+"
 BATCH_ROWS = 500
 
 
@@ -46,7 +49,19 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode_text(enc, text: str, limit: int = PIECE_CHARS) -> list[int]:
+def encode_text(enc, text: str, limit: int = PIECE_CHARS, rule: str = SPACE_RULE) -> list[int]:
+    """The tokens of text, as encode_ordinary has them, whatever its length."""
+    out, start = [], 0
+    if enc._pat_str.endswith(rule):
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += _encode(enc, text[start : run.start()], limit)
+            out += enc._encode_single_piece(text[run.start() : end])
+            start = end
+    return out + _encode(enc, text[start:] if start else text, limit)
+
+
+def _encode(enc, text: str, limit: int) -> list[int]:
     if len(text) <= limit:
         return enc.encode_ordinary(text)
     return [t for p in pieces(text, limit) for t in enc.encode_ordinary(p)]
@@ -112,5 +127,5 @@ def bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their tokens."""
+    """Pipeline stage: the documents with their tokens; no row goes, and odd rows are as encode has them."""
     return encode(docs)

@@ -76,3 +76,13 @@ def test_decoding_unknown_and_cut_tokens(spark, enc):
 def test_round_trip_of_the_whole_table(spark, sf_dir):
     rows = B.bpe(spark, sf_dir).select("round_trip").collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(r[0] is not False for r in rows)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n", "\u3000"])
+def test_long_runs_of_white_space(space):
+    enc = B.encoding()
+    for tail in ("", "x", " x", "\tx"):
+        text = "ab, " + space * 20_000 + tail
+        assert B.encode_text(enc, text) == enc.encode_ordinary(text)
+    long = "a" + space * 1_500_000 + "b"
+    assert enc.decode_bytes(B.encode_text(enc, long)) == long.encode()
