@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import maybe_broadcast, read
+from .session import maybe_broadcast, read, unused
 
 #: Relative shares of the token budget; a source that isn't named has DEFAULT_TARGET.
 TARGETS = {"src0": 4.0}
@@ -21,11 +21,12 @@ RANGES = 16_384
 
 def with_quality(docs: DataFrame, labels: DataFrame, weight_col: str, id_col: str = "doc_id", quality: dict[int, float] = QUALITY) -> DataFrame:
     """docs with the sampling weight of each: by the highest quality label of its id, 1 without one."""
-    best = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("__quality"))
+    at, best = unused(docs, "labelled_id"), unused(docs, "best_quality")
+    found = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias(at)).agg(F.max("quality").alias(best))
     weight = F.lit(1.0)
     for q, w in quality.items():
-        weight = F.when(F.col("__quality") == q, w).otherwise(weight)
-    return docs.join(maybe_broadcast(best, 500_000), docs[id_col] == F.col("__id"), "left").withColumn(weight_col, weight).drop("__id", "__quality")
+        weight = F.when(F.col(best) == q, w).otherwise(weight)
+    return docs.join(maybe_broadcast(found, 500_000), F.col(id_col) == F.col(at), "left").withColumn(weight_col, weight).drop(at, best)
 
 
 def token_count(text_col: str) -> F.Column:
@@ -51,12 +52,12 @@ def mix(df: DataFrame, source_col: str = "source", tokens_col: str = "n_tokens",
     if default_target < 0 or any(t is None or t < 0 for t in targets.values()):
         raise ValueError("targets must be numbers of 0 or more")
     columns = [c for c in df.columns if c != copies_col]
-    df = df.select(*columns)
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     u = (hashed + 0.5) / float(2**52)
     w = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
-    keyed = df.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("__tokens", F.coalesce(F.col(tokens_col), F.lit(0)).cast("long"))
-    keyed = keyed.withColumn("__key", F.when(w > 0, -F.log(u) / w).otherwise(F.lit(float("inf"))))
+    key = F.when(w > 0, -F.log(u) / w).otherwise(F.lit(float("inf")))
+    # the table's own columns travel as one, so that no helper can clash with them
+    keyed = df.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("__tokens"), key.alias("__key"))
     keyed = keyed.withColumn("__range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("__key"))) * RANGES).cast("int")))
     sums = keyed.groupBy("__source", "__range").agg(F.sum("__tokens").alias("sum"))
     target = F.lit(float(default_target))
@@ -73,11 +74,12 @@ def mix(df: DataFrame, source_col: str = "source", tokens_col: str = "n_tokens",
     ends = sums.join(shares, "__source").groupBy("__source", "epochs", "rest").agg(F.min(F.when(F.col("before") + F.col("sum") > F.col("rest"), F.struct("__range", "before"))).alias("end"))
     ends = ends.select("__source", "epochs", "rest", F.coalesce("end.__range", F.lit(RANGES)).alias("__end"), F.coalesce("end.before", F.lit(0)).alias("__before"))
     keyed = keyed.join(maybe_broadcast(ends, 100_000), "__source")
-    clear = keyed.filter("__range <> __end").withColumn(copies_col, F.col("epochs") + (F.col("__range") < F.col("__end")).cast("long"))
-    order = Window.partitionBy("__source").orderBy("__key", F.col(id_col), "__tokens", F.xxhash64(*columns))
+    clear = keyed.filter("__range <> __end").withColumn("copies", F.col("epochs") + (F.col("__range") < F.col("__end")).cast("long"))
+    order = Window.partitionBy("__source").orderBy("__key", "id", "__tokens", F.xxhash64("row"))
     sorted_ = keyed.filter("__range = __end").withColumn("__sum", F.col("__before") + F.sum("__tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = sorted_.withColumn(copies_col, F.col("epochs") + (F.col("__sum") <= F.col("rest")).cast("long"))
-    return clear.select(*columns, copies_col).unionByName(edge.select(*columns, copies_col)).filter(F.col(copies_col) > 0)
+    edge = sorted_.withColumn("copies", F.col("epochs") + (F.col("__sum") <= F.col("rest")).cast("long"))
+    both = clear.select("row", "copies").unionByName(edge.select("row", "copies")).filter("copies > 0")
+    return both.select(*(F.col("row")[c].alias(c) for c in columns), F.col("copies").alias(copies_col))
 
 
 def mixing(spark, sf_dir: str) -> DataFrame:
@@ -87,10 +89,11 @@ def mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mixture, each as often as it has copies."""
-    rows = docs.withColumn("__n_tokens", token_count("text"))
-    rows = mix(with_quality(rows, read(spark, sf_dir, "labels"), "__weight"), tokens_col="__n_tokens", weight_col="__weight", copies_col="__copies")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    """Pipeline stage: the documents of the mixture, each as often as it has copies; odd rows are as in mix, and a null or empty text counts no tokens."""
+    tokens, weight, copies, copy = (unused(docs, c) for c in ("mix_tokens", "mix_weight", "mix_copies", "mix_copy"))
+    rows = docs.withColumn(tokens, token_count("text"))
+    rows = mix(with_quality(rows, read(spark, sf_dir, "labels"), weight), tokens_col=tokens, weight_col=weight, copies_col=copies)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 MIXING_SQL = f"""

@@ -101,3 +101,10 @@ def test_stage_repeats_rows(spark, tmp_path):
     n = Counter((r["source"], r["doc_id"]) for r in got.collect())
     assert got.columns == docs.columns
     assert sum(v for (s, _), v in n.items() if s == "src0") == 320 and sum(v for (s, _), v in n.items() if s == "other") == 80
+
+
+def test_helpers_clash_with_no_column(spark):
+    names = ["__key", "__source", "__tokens", "__range", "epochs", "rest", "row", "sum", "copies_"]
+    df = spark.createDataFrame([(i, "a", 5, 1.0, *[77] * len(names)) for i in range(4)], "doc_id long, source string, n_tokens int, weight double, " + ", ".join(f"{n} int" for n in names))
+    got = M.mix(df, budget=1.5).collect()
+    assert len(got) == 4 and all(r[n] == 77 for r in got for n in names) and sum(r["copies"] for r in got) == 6
