@@ -72,7 +72,8 @@ def shard(df: DataFrame, key_col: str = "doc_id", shards: int = SHARDS, virtual_
     nodes = [(int(c), int(base[c]), [int(x) for x in at[cell == c]]) for c in range(1 << _CELL_BITS)]
     cells = F.broadcast(spark.createDataFrame(nodes, "__cell int, __base int, __nodes array<bigint>"))  # bounded by the ring
     key = F.xxhash64(F.lit("ring"), F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null")))
-    placed = df.withColumn("__at", key).withColumn("__cell", (F.shiftright("__at", 64 - _CELL_BITS) + (1 << (_CELL_BITS - 1))).cast("int")).join(cells, "__cell")
+    # the table's own columns travel as one, so that no helper can clash with them
+    placed = df.select(F.struct(*columns).alias("row"), key.alias("__at")).withColumn("__cell", (F.shiftright("__at", 64 - _CELL_BITS) + (1 << (_CELL_BITS - 1))).cast("int")).join(cells, "__cell")
     placed = placed.withColumn("__arc", F.expr(f"cast((__base + size(filter(__nodes, p -> p < __at))) % {len(at)} as int)")).drop("__cell", "__base", "__nodes")
     counted = placed.groupBy("__arc").count().collect()  # one row an arc at most
     counts = np.zeros(len(at), np.int64)
@@ -84,14 +85,14 @@ def shard(df: DataFrame, key_col: str = "doc_id", shards: int = SHARDS, virtual_
     split = {a for a, n in times.items() if n > 1}
     whole = [(a, s, int(owner[a])) for a, _, _, s in intervals if a not in split]
     parts = [(a, first, end, s, int(owner[a])) for a, first, end, s in intervals if a in split]
-    whole_df = F.broadcast(spark.createDataFrame(whole, f"__arc int, {shard_col} int, {home_col} int"))
-    parts_df = F.broadcast(spark.createDataFrame(parts, f"__arc int, __first long, __end long, {shard_col} int, {home_col} int"))
-    out = placed.join(whole_df, "__arc").select(*columns, shard_col, home_col)
+    whole_df = F.broadcast(spark.createDataFrame(whole, "__arc int, shard int, home int"))
+    parts_df = F.broadcast(spark.createDataFrame(parts, "__arc int, __first long, __end long, shard int, home int"))
+    out = placed.join(whole_df, "__arc").select("row", "shard", "home")
     arcs = F.broadcast(spark.createDataFrame([(a,) for a in sorted(split)], "__arc int"))
-    order = Window.partitionBy("__arc").orderBy("__at", F.xxhash64(*columns), *(c for c, t in df.dtypes if not t.startswith("map")))
+    order = Window.partitionBy("__arc").orderBy("__at", F.xxhash64("row"), *(F.col("row")[c] for c, t in df.dtypes if "map<" not in t))
     ranked = placed.join(arcs, "__arc").withColumn("__rank", F.row_number().over(order) - 1)
-    over = ranked.join(parts_df, "__arc").filter("__rank >= __first and __rank < __end").select(*columns, shard_col, home_col)
-    return out.unionByName(over)
+    over = ranked.join(parts_df, "__arc").filter("__rank >= __first and __rank < __end").select("row", "shard", "home")
+    return out.unionByName(over).select(*(F.col("row")[c].alias(c) for c in columns), F.col("shard").alias(shard_col), F.col("home").alias(home_col))
 
 
 def sharding(spark, sf_dir: str) -> DataFrame:

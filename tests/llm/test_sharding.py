@@ -76,3 +76,10 @@ def test_whole_table(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     got = S.sharding(spark, sf_dir).collect()
     assert len(got) == n and max(Counter(r["shard"] for r in got).values()) <= math.ceil(1.05 * n / 64)
+
+
+def test_helpers_clash_with_no_column(spark):
+    names = ["__at", "__cell", "__arc", "__rank", "__first", "__end", "row", "home"]
+    df = spark.createDataFrame([(i % 3, *[77] * len(names)) for i in range(400)], "doc_id long, " + ", ".join(f"{n} int" for n in names))
+    got = S.shard(df, shards=4, virtual_nodes=3).collect()
+    assert len(got) == 400 and all(r[n] == 77 for r in got for n in names) and len({r["shard"] for r in got}) == 4
