@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, label
-from .session import read, written
+from .session import read, unused, written
 
 THRESHOLD = 0.95
 TILE_ROWS = 2048
@@ -149,24 +149,26 @@ def near_edges(df: DataFrame, d: int, threshold: float = THRESHOLD, tile_rows: i
 def near_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """df without its vectors, with group_id (the smallest id of the connected group) and is_kept (id = group_id).
 
-    Equal vectors are first made one. A vector that is null, empty, all zeros, holds a null or a number that
-    isn't finite, or has another length than most, is alone. A row with a null id has a null group and is
+    Equal vectors are first made one. Vectors are compared with those of their own length, of which there may
+    be any number. A vector that is null, empty, all zeros, or holds a null or a number that isn't finite is alone. A row with a null id has a null group and is
     kept. Rows that share an id are one item, which all their vectors link. Other columns pass untouched,
     but those named group_id or is_kept are replaced.
     """
     kept = [c for c in df.columns if c not in (vector_col, "group_id", "is_kept")]
     v = F.col(vector_col).cast("array<double>")
-    sizes = df.filter(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = int(sizes["d"]) if sizes else 1
-    fine = (F.size(v) == d) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: F.abs(x) > 1e-15)
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: F.abs(x) > 1e-15)
     rows = df.filter(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     same = rows.groupBy("vector").agg(F.min("id").alias("id"))
     lead = same.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(1)))
     copies = rows.select("id", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(1)).alias("h2")).join(lead.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).filter("id <> b").select(F.col("id").alias("a"), "b")
-    edges = written(near_edges(same.select("id", "vector"), d, threshold, tile_rows).union(copies), "edges")
-    groups = components(edges).select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
-    out = df.select(*kept).join(groups, F.col(id_col).cast("long") == F.col("__node"), "left")
-    return out.select(*kept, F.coalesce("__comp", F.col(id_col).cast("long")).alias("group_id"), F.coalesce(F.col(id_col).cast("long") == F.col("__comp"), F.lit(True)).alias("is_kept"))
+    sizes = [r["d"] for r in rows.groupBy(F.size("vector").alias("d")).count().orderBy("d").collect()]  # one row a kind of vector
+    edges = copies
+    for d in sizes:
+        edges = edges.union(near_edges(same.filter(F.size("vector") == d).select("id", "vector"), d, threshold, tile_rows))
+    node, comp = unused(df, "node"), unused(df, "comp")
+    groups = components(written(edges, "edges")).select(F.col("node").alias(node), F.col("comp").alias(comp))
+    out = df.select(*kept).join(groups, F.col(id_col).cast("long") == F.col(node), "left")
+    return out.select(*kept, F.coalesce(comp, F.col(id_col).cast("long")).alias("group_id"), F.coalesce(F.col(id_col).cast("long") == F.col(comp), F.lit(True)).alias("is_kept"))
 
 
 def embedding_neardup(spark, sf_dir: str) -> DataFrame:

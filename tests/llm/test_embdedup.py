@@ -73,10 +73,16 @@ def test_odd_rows(spark):
     assert E.near_dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, [1.0, 0.01, 0.0, 0.0]), (4, [1.0] * 8), (5, [1.0] * 8), (6, [1.0] * 7 + [-1.0]), (7, [2.0] * 8), (8, [1.0])]
+    got = {r["vec_id"]: r["group_id"] for r in E.near_dedup(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 4, 8: 8}
+
+
 def test_other_columns_pass(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0], 5, "x"), (2, [1.0, 0.0], None, "y")], COLUMNS + ", node int, tile string")
+    df = spark.createDataFrame([(1, [1.0, 0.0], 5, "x"), (2, [1.0, 0.0], None, "y")], COLUMNS + ", node int, tile string").withColumnsRenamed({"tile": "__comp"})
     got = E.near_dedup(df)
-    assert got.columns == ["vec_id", "node", "tile", "group_id", "is_kept"] and sorted(map(tuple, got.collect())) == [(1, 5, "x", 1, True), (2, None, "y", 1, False)]
+    assert got.columns == ["vec_id", "node", "__comp", "group_id", "is_kept"] and sorted(map(tuple, got.collect())) == [(1, 5, "x", 1, True), (2, None, "y", 1, False)]
 
 
 def test_thousands_of_copies(spark):
