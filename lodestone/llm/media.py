@@ -152,11 +152,12 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     """One row a medium: its size, SHA-256, ordered chunk digests, how many of its bytes it owns, and
     whether its reconstruction from the chunk owners' copies is byte for byte the same.
 
-    Null payloads have nulls throughout; empty payloads have no chunks and are verified. Media with a null
-    id have no place in a list and are left out. Of several rows with one id the one with the smallest
-    SHA-256 counts. Extra columns aren't looked at.
+    Null payloads have nulls throughout; empty payloads have no chunks and are verified. A null id is an id
+    like any other, and rows with one id but different payloads are different media, each with its row; rows
+    alike in both are one medium. Extra columns aren't looked at.
     """
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(payload_col).cast("binary").alias("payload"))
+    payload = F.col(payload_col).cast("binary")
+    rows = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(payload).alias("hash")).alias("id"), payload.alias("payload"))
     chunked = written(chunk(rows, "id", "payload"), "chunks")
     twice = chunked.groupBy("id").count().filter("count > 1")
     if not twice.isEmpty():
@@ -166,7 +167,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
         chunked = written(chunk(rows, "id", "payload"), "chunks")
     out = rebuild(rows, chunked, written(places(chunked), "places"), "id", "payload")
     names = F.expr("transform(chunks, c -> lower(hex(c.digest)))")
-    return out.select(F.col("id").alias(id_col), "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.when(F.col("digest").isNotNull(), F.size("chunks")).alias("n_chunks"), names.alias("chunks"), "owned_bytes", "verified")
+    return out.select(F.col("id.id").alias(id_col), "n_bytes", F.lower(F.hex("digest")).alias("digest"), F.when(F.col("digest").isNotNull(), F.size("chunks")).alias("n_chunks"), names.alias("chunks"), "owned_bytes", "verified")
 
 
 def media(spark, sf_dir: str) -> DataFrame:
