@@ -19,7 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
-KEY = b"lodestone pseudonyms"
+#: The session's setting that has the key. Whoever knows the key can turn pseudonyms back.
+KEY_SETTING = "spark.lodestone.pseudonyms.key"
+#: What op10_pii uses where that is unset, for trials and tests; it is public, so it protects nothing.
+TRIAL_KEY = b"lodestone pseudonyms"
+#: Longer values are permuted in blocks of so many characters.
+BLOCK = 128
 
 
 def feistel(value: int, a: int, b: int, key: bytes, tweak: str) -> int:
@@ -52,6 +57,8 @@ _CLASS = {c: k for k in CLASSES for c in k}
 
 def permute_shape(text: str, key: bytes, tweak: str, alphabet: str = "") -> str:
     """Digits become digits, letters letters of the same case (or characters of `alphabet` each other); the rest stays."""
+    if len(text) > BLOCK:
+        return "".join(permute_shape(text[i : i + BLOCK], key, f"{tweak}|{i}", alphabet) for i in range(0, len(text), BLOCK))
     kinds = [alphabet if c in alphabet else _CLASS.get(c, "") for c in text]
     value, size = 0, 1
     for c, k in zip(text, kinds):
@@ -103,13 +110,18 @@ def ssn(text: str, key: bytes) -> str | None:
     return lay(text, f"{permute(v, 10**9, key, 'ssn', ok):09d}") if ok(v) else None
 
 
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98}
+
+
 def phone(text: str, key: bytes) -> str | None:
-    country, rest = re.match(r"(\+[0-9]{1,3}(?=[ .(-]))?(.*)", text, re.S).groups()
-    country = country or ""
-    d = only_digits(rest)
-    if not (country and 6 <= len(d) <= 14 or not country and len(d) == 10):
+    """The country code stays, and the rest of the number is permuted, however it is punctuated."""
+    d = only_digits(text)
+    code = 0 if text[0] != "+" else 1 if d[0] in "17" else 2 if int(d[:2]) in _TWO else 3
+    n = len(d) - code
+    if not (code and 5 <= n <= 14 or not code and n == 10):
         return None
-    return country + lay(rest, f"{permute(int(d), 10 ** len(d), key, f'phone{len(d)}'):0{len(d)}d}")
+    return lay(text, d[:code] + f"{permute(int(d[code:]), 10**n, key, f'phone{d[:code]}|{n}'):0{n}d}")
 
 
 def ipv4(text: str, key: bytes) -> str | None:
@@ -134,14 +146,14 @@ def date(text: str, key: bytes) -> str | None:
         return None
     if not _DAYS[0] <= day <= _DAYS[1]:
         return None
-    kind = "ymd" if big_first else "dmy" if int(a) > 12 else "mdy"
-    # the walk stays among dates that read back in the same order of day and month
-    ok = (lambda v: datetime.date.fromordinal(_DAYS[0] + v).day > 12) if kind == "dmy" else lambda v: True
-    new = datetime.date.fromordinal(_DAYS[0] + permute(day - _DAYS[0], _DAYS[1] - _DAYS[0] + 1, key, f"date{kind}" if kind == "dmy" else "date", ok))
+    # days over 12 are permuted among themselves, and so are the others, in every format: so a date reads
+    # back in its own order of day and month, and has one pseudonym however it is written
+    high = datetime.date.fromordinal(day).day > 12
+    new = datetime.date.fromordinal(_DAYS[0] + permute(day - _DAYS[0], _DAYS[1] - _DAYS[0] + 1, key, "date", lambda v: (datetime.date.fromordinal(_DAYS[0] + v).day > 12) == high))
     two = lambda v, old: f"{v:0{len(old)}d}" if len(old) == 2 else str(v)
     if big_first:
         return f"{new.year}{s}{two(new.month, b)}{s}{two(new.day, c)}"
-    x, z = (new.day, new.month) if kind == "dmy" else (new.month, new.day)
+    x, z = (new.day, new.month) if int(a) > 12 else (new.month, new.day)
     return f"{two(x, a)}{s}{two(z, b)}{s}{new.year}"
 
 
@@ -173,17 +185,17 @@ def secret(text: str, key: bytes) -> str | None:
     return permute_shape(text, key, "secret", "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF")
 
 
-#: Tried in this order at each place; every quantifier is bounded, so no text makes them slow.
+#: Tried in this order at each place; every quantifier is bounded or gives nothing back, so no text makes them slow.
 PATTERNS = (
-    ("email", r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<![.-])", email),
+    ("email", r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<![.-])", email),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", iban),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", secret),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])", secret),
     ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ipv4),
     ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])", date),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])", ssn),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])", card),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])", phone),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])", lambda t, key: "+" + lay(t[1:], f"{permute(int(t[1:]), 10 ** (len(t) - 1), key, f'phone+{len(t)}'):0{len(t) - 1}d}")),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])", phone),
 )
 
 
@@ -215,13 +227,24 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), len(found)
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = KEY, count_col: str = "n_private") -> DataFrame:
+def _session_key(spark) -> bytes:
+    return (spark.conf.get(KEY_SETTING, None) or "").encode()
+
+
+def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes | None = None, count_col: str = "n_private") -> DataFrame:
     """df with private values in text_col replaced, and how many there were.
 
+    The key is the one given or that of the session's setting KEY_SETTING; without either it is an error.
+    Found are cards, social security numbers, phones, IBANs, IPv4 addresses, dates, e-mails and hexadecimal
+    secrets, and nothing else: no names, postal or IPv6 addresses, or tokens of other alphabets.
+
     Runs inside the partitions, with no shuffle. A null text stays null with a count of 0, an empty one
     stays empty; long texts are processed whole. Repeated rows and equal values are treated alike. A value
     that fails its validation is left alone. A column named count_col is replaced; others pass untouched.
     """
+    key = key or _session_key(df.sparkSession)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: set {KEY_SETTING}")
     kept = [c for c in df.columns if c != count_col]
     at = kept.index(text_col)
 
@@ -247,4 +270,4 @@ def pii(spark, sf_dir: str) -> DataFrame:
     """Every document's text without its private values."""
     from .session import read
 
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key=_session_key(spark) or TRIAL_KEY)

@@ -76,19 +76,49 @@ def test_odd_rows(spark):
     long = "filler words and 7 numbers " * 100_000 + "mail a.b@c.org"
     rows = [(1, None, "x"), (2, "", "x"), (3, "no values here", None), (4, long, "x"), (5, "id 123-45-6789", "x"), (5, "id 123-45-6789", "x"), (None, "id 123-45-6789", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_private string")
-    got = P.pseudonymise(df)
+    with pytest.raises(ValueError, match="key"):
+        P.pseudonymise(df)
+    got = P.pseudonymise(df, key=KEY)
     assert got.columns == ["doc_id", "text", "n_private"]
     found = got.collect()
     by = {r["doc_id"]: r for r in found}
     assert len(found) == 7 and by[1]["text"] is None and by[1]["n_private"] == 0 and by[2]["text"] == "" and by[3]["text"] == "no values here"
     assert by[4]["n_private"] == 1 and by[4]["text"][:-14] == long[:-14] and by[4]["text"] != long
     assert len({r["text"] for r in found if r["text"] and r["text"].startswith("id ")}) == 1 and by[5]["text"] != "id 123-45-6789"
-    assert P.pseudonymise(df.limit(0)).count() == 0
+    assert P.pseudonymise(df.limit(0), key=KEY).count() == 0
 
 
 def test_whole_table_equals_a_plain_loop(spark, sf_dir):
-    one = P.Pseudonyms(P.KEY)
+    one = P.Pseudonyms(P.TRIAL_KEY)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in P.pii(spark, sf_dir).collect():
         want = one(texts[r["doc_id"]]) if texts[r["doc_id"]] is not None else (None, 0)
         assert (r["text"], r["n_private"]) == want
+
+
+def test_one_date_has_one_pseudonym_in_every_format():
+    for y, m, d in ((2020, 12, 25), (1999, 1, 13), (2001, 2, 28)):
+        ymd, mdy, dmy = (re.findall(r"\d+", change(t)[0]) for t in (f"{y}-{m:02d}-{d:02d}", f"{m:02d}/{d:02d}/{y}", f"{d:02d}/{m:02d}/{y}"))
+        assert ymd == [mdy[2], mdy[0], mdy[1]] == [dmy[2], dmy[1], dmy[0]] and int(ymd[2]) > 12
+    ymd, mdy = (re.findall(r"\d+", change(t)[0]) for t in ("2020-03-04", "03/04/2020"))
+    assert ymd == [mdy[2], mdy[0], mdy[1]] and int(ymd[2]) <= 12
+
+
+def test_one_phone_has_one_pseudonym():
+    assert len({P.only_digits(change(t)[0]) for t in ("+1 555 123 4567", "+15551234567", "+1-555-123-4567")}) == 1
+    assert change("+15551234567")[0].startswith("+1") and change("+442079460958")[0].startswith("+44") and change("+353 12 345 6789")[0].startswith("+353")
+
+
+@pytest.mark.parametrize("text", ["0123456789abcdef" * 20, "A1" * 3000, "k" * 65 + "@example.org", "k" * 5000 + "@example.org"])
+def test_long_secrets_and_names_are_found(text):
+    new, n = change(f"x {text} y")
+    assert n == 1 and new != f"x {text} y" and len(new) == len(text) + 4 and change(text)[0] == new[2:-2]
+
+
+def test_no_text_is_slow():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 2_000_000, "0123456789abcdef" * 100_000 + "g", "a." * 500_000 + "@", "1-" * 500_000, "+1 " * 300_000):
+        change(text)
+    assert time.perf_counter() - began < 60
