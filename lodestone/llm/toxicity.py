@@ -124,6 +124,6 @@ def toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the model rejects go. The model is fitted on `docs` and the labels."""
+    """Pipeline stage: documents that the model rejects go. The model is fitted on `docs` and the labels. Null and empty texts stay, as score has them."""
     weights = train(docs, read(spark, sf_dir, "labels"))
     return score(docs, weights).filter(~F.col("is_toxic")).select(*docs.columns)
