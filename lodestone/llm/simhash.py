@@ -4,6 +4,9 @@ A document's fingerprint has WORDS sub-fingerprints of 32 bits. Each of these em
 half its radius: itself and every value one bit away, 33 in all. Two sub-fingerprints of the same place
 within RADIUS = 2 bits have a variant in common, where they meet in one shuffle. Colliding pairs are made
 distinct and verified by the Hamming distance of the whole fingerprints.
+
+That joins most of what is alike cheaply, large groups too, but guarantees a meeting up to 17 differing
+bits only. So the components it leaves are then compared exactly (see hamming.py): no pair is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .collide import near_components
+from .graph import components
+from .hamming import between
 from .session import forget, mark, maybe_broadcast, read, unused, written
 from .textvec import mix64, runs, slices, words
 
@@ -87,8 +92,14 @@ def groups(df: DataFrame, text_col: str, kept: list[str], max_bits: int = MAX_BI
         a, b = (some.select(F.col("id").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in names)) for s in "ab")
         return pairs.join(a, "a").join(b, "b").filter(_distance() <= max_bits).select("a", "b")
 
-    comp = near_components(balls, CHECK_BITS, CHECK_LIMIT, verify)
-    return rows.withColumn("__id", uid).join(comp, F.col("__id") == F.col("node"), "left").select(*kept, F.coalesce("comp", "__id").alias("comp"))
+    before = mark()
+    comp = written(near_components(balls, CHECK_BITS, CHECK_LIMIT, verify), "components")
+    forget(before)
+    parts = some.join(comp, F.col("id") == F.col("node"), "left").select(F.coalesce("comp", "id").alias("comp"), *names)
+    more = components(written(between(written(parts, "parts"), names, max_bits), "links"))
+    more = more.select(F.col("node").alias("part"), F.col("comp").alias("whole"))
+    found = rows.withColumn("__id", uid).join(comp, F.col("__id") == F.col("node"), "left").withColumn("__part", F.coalesce("comp", "__id"))
+    return found.join(more, F.col("__part") == F.col("part"), "left").select(*kept, F.coalesce("whole", "__part").alias("comp"))
 
 
 def _by_id(id_col: str) -> F.Column:

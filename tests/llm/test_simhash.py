@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lodestone.llm import hamming as H
 from lodestone.llm import simhash as S
 from lodestone.llm.graph import label
 
@@ -111,3 +112,40 @@ def test_stage_keeps_one_row_of_each_group_and_all_columns(spark):
     got = S.drop_copies(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
     assert S.drop_copies(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most,tile,many", [(30, 10**6, 1024), (30, 90, 2), (30, 200, 1024), (0, 10**6, 1024), (7, 10**6, 0), (200, 10**6, 1024)])
+def test_hamming_equals_all_pairs(spark, monkeypatch, most, tile, many):
+    """Links between components against a loop over all pairs, in one tile and in several, with large buckets and links that are joined at once."""
+    for name, value in (("TILE", tile), ("_MANY", many), ("_CHUNK", 500), ("_LINKS", 3)):
+        monkeypatch.setattr(H, name, value)
+    rng = np.random.default_rng(most)
+    n = 300
+    bits = rng.integers(0, 2, (n, 192), np.uint8)
+    for i in range(60, n):  # 24 to 35 bits from an earlier row
+        bits[i] = bits[rng.integers(0, i)]
+        bits[i, rng.permutation(192)[: rng.integers(24, 36)]] ^= 1
+    bits[40:60, :100] = 0
+    prints = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    comp = rng.integers(0, 200, n)
+    a, b = [], []
+    for i in range(n):
+        j = np.flatnonzero((bits[i] != bits[:i]).sum(1) <= most)
+        a.append(comp[j]), b.append(np.full(len(j), comp[i]))
+    a, b = np.concatenate(a), np.concatenate(b)
+    rows = spark.createDataFrame([(int(c), *map(int, p)) for c, p in zip(comp, prints)], "comp long, f0 long, f1 long, f2 long")
+    got = [(r["a"], r["b"]) for r in H.between(rows, ["f0", "f1", "f2"], most).collect()]
+    whole = dict(zip(*(x.tolist() for x in label(a[a != b], b[a != b]))))
+    assert dict(zip(*(x.tolist() for x in label(*np.array(got, np.int64).reshape(-1, 2).T)))) == whole
+
+
+def test_no_pair_within_the_threshold_is_left_out(spark):
+    """Groups of the test table are those of all pairs of fingerprints within MAX_BITS, without a miss."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    prints, _ = S.fingerprints(table["text"].combine_chunks())
+    ids = table["doc_id"].to_numpy()
+    some = np.flatnonzero(prints.any(1))
+    far = np.bitwise_count(prints[some][:, None] ^ prints[some]).sum(2)
+    node, comp = label(*(ids[some[k]] for k in np.nonzero(far <= S.MAX_BITS)))
+    got = {r["doc_id"]: r["group_id"] for r in S.simhash_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert {i: got[i] for i in node.tolist()} == dict(zip(node.tolist(), comp.tolist()))
