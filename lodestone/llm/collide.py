@@ -32,10 +32,12 @@ _CHUNK = 1_000_000
 
 
 def _near(x: np.ndarray, y: np.ndarray, limit: int | np.ndarray, class_bits: int) -> np.ndarray:
-    """Whether check values, rows of longs, differ in at most `limit` bits, and their classes, in the lowest class_bits of the first, by one at most.
+    """Whether check values, longs or rows of longs, differ in at most `limit` bits, and their classes, in the lowest class_bits of the first, by one at most.
 
     limit may be an array: it then holds the limit of each class, and the larger class counts.
     """
+    if x.ndim == 1 and y.ndim == 1:
+        x, y = x[:, None], y[:, None]
     low = np.int64((1 << class_bits) - 1)
     differ = np.bitwise_count((x[..., 0] ^ y[..., 0]) >> np.int64(class_bits)).astype(np.int64)
     for k in range(1, x.shape[-1]):
