@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import read
-from .textvec import mix64, slices, words
+from .textvec import distinct, mix64, slices, words
 
 BITS = 24
 #: At most so many labelled rows are fitted, those with the smallest hash of their id.
@@ -18,6 +19,8 @@ ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.25
 #: (distance to the next word, ...) of each feature: words, n-grams of 2 and 3, skip-grams over one and two words.
 GRAMS = ((), (1,), (1, 2), (2,), (3,))
+#: Bytes of text whose features are held at a time.
+_SLICE = 300_000
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +41,28 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+class Examples:
+    """(distinct features, 0 or 1) of each row of batches (order, 0 or 1, text), as often as they are asked for; only the texts are held, for their features take several times as much."""
+
+    def __init__(self, batches, bits: int = BITS):
+        self.batches, self.bits = [b for b in batches if b.num_rows], bits
+
+    def both(self) -> bool:
+        return len({y for b in self.batches for y in pc.unique(b.column(1)).to_pylist()}) == 2
+
+    def __iter__(self):
+        for batch in self.batches:
+            y = batch.column(1).to_pylist()
+            for start, texts in slices(batch.column(2), _SLICE):
+                row, x = features(texts, self.bits)
+                pair = distinct(row << self.bits | x)
+                cut = np.searchsorted(pair >> self.bits, np.arange(len(texts) + 1))
+                pair &= (1 << self.bits) - 1
+                yield from ((pair[cut[i] : cut[i + 1]], y[start + i]) for i in range(len(texts)))
+
+
 def fit(examples, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over examples [(distinct features, 0 or 1)]: (indices, weights) that L1 left; index `size` is the bias."""
+    """FTRL-proximal over examples [(distinct features, 0 or 1)], gone through once an epoch: (indices, weights) that L1 left; index `size` is the bias."""
     z, n = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
     for _ in range(epochs):
         for x, y in examples:
@@ -50,7 +73,7 @@ def fit(examples, size: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: f
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             z[i] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * w
             n[i] = ni + g * g
-    i = np.flatnonzero(np.abs(z) > l1)
+    i = np.flatnonzero((z > l1) | (z < -l1))
     zi = z[i].astype(float)
     return i, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i].astype(float))) / alpha + l2)
 
@@ -67,16 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = rows.select("__order", "__y", "__text").repartition(1).sortWithinPartitions("__order", F.xxhash64("__text"))
 
     def run(batches):
-        examples = []
-        for batch in batches:
-            y = batch.column(1).to_pylist()
-            for start, texts in slices(batch.column(2)):
-                row, x = features(texts, bits)
-                pair = np.unique(row << bits | x)
-                cut = np.searchsorted(pair >> bits, np.arange(len(texts) + 1))
-                pair = (pair & ((1 << bits) - 1)).astype(np.int32)
-                examples += [(pair[cut[i] : cut[i + 1]], y[start + i]) for i in range(len(texts))]
-        if len({y for _, y in examples}) == 2:
+        examples = Examples(batches, bits)
+        if examples.both():
             i, w = fit(examples, 1 << bits)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(w)], ["i", "w"])
 
@@ -104,10 +119,10 @@ def score(df: DataFrame, weights: tuple[np.ndarray, np.ndarray], text_col: str =
         known[index] = True
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for start, texts in slices(batch.column(at)):
+            for start, texts in slices(batch.column(at), _SLICE):
                 row, x = features(texts, bits)
                 hit = known[x]
-                pair = np.unique(row[hit] << bits | x[hit])
+                pair = distinct(row[hit] << bits | x[hit])
                 w = weight[np.searchsorted(index, pair & ((1 << bits) - 1))]
                 total[start : start + len(texts)] += np.bincount(pair >> bits, w, len(texts))
             p = 1 / (1 + np.exp(-np.clip(total, -700, 700))) if len(index) else np.zeros(batch.num_rows)

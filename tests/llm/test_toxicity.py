@@ -1,6 +1,7 @@
 """Operator 3."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,21 @@ def test_fit_equals_the_formulas_one_coordinate_at_a_time():
     assert np.allclose(weight, [want[i] for i in index.tolist()], atol=1e-4)
 
 
+def test_fitting_holds_the_texts_and_not_their_features():
+    rows = corpus(8000, 7)
+    batches = [pa.record_batch([pa.array(range(i, i + 500)), pa.array([y for _, _, y in rows[i : i + 500]], pa.int32()), pa.array([x for _, x, _ in rows[i : i + 500]])], ["o", "y", "x"]) for i in range(0, 8000, 500)]
+    peak = []
+    for n in (1, 4, 16):  # the first sets up what stays
+        tracemalloc.start()
+        got = T.fit(T.Examples(iter(batches[:n]), 18), 1 << 18)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    held = [(np.unique(T.features(pa.array([x]), 18)[1]).astype(np.int32), y) for _, x, y in rows]
+    assert peak[2] - peak[1] < 0.5 * sum(x.nbytes for x, _ in held[2000:])
+    want = T.fit(held, 1 << 18)
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
 def test_held_out_accuracy(spark, model):
     rows = corpus(400, 2)
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
