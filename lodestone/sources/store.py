@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators.candidates import Frames
+from lodestone.operators.lexical import laid_out
 from lodestone.schemas import RUNS, SCHEMA_VERSION, TABLES, conform
 
 _MANIFEST = "manifest.json"
@@ -147,10 +148,10 @@ class IndexStore:
         n = m["snapshot"] + 1
         base = f"{self.path}/snapshots/{n}"
         self.files.delete(base)
-        for name, df in tables.items():
+        for name, df in sorted(tables.items(), key=lambda x: x[0] == "postings"):
             df = conform(df, TABLES[name])
             if name == "postings":  # sorted by term, so a query's terms prune row groups
-                df = df.repartitionByRange("term").sortWithinPartitions("term")
+                df = laid_out(df, self.spark.read.parquet(f"{base}/lengths").count())
             elif name == "chunks":
                 df = df.sortWithinPartitions("document_id", "chunk_index")
             df.write.parquet(f"{base}/{name}")
